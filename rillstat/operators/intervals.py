@@ -58,7 +58,8 @@ def attach_intervals(
         .withColumn("_rs_b", F.explode(F.sequence(_bucket(F.col(START), bucket_ms), _bucket(F.col(END) - 1, bucket_ms))))
         .withColumn("_rs_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))) if shards > 1 else F.lit(0))
     )
-    met = r.join(w, on).where((F.col(TS) >= F.col(START)) & (F.col(TS) < F.col(END)))
+    # sorted on both sides: the exploded intervals grow with the data, so they are never broadcast
+    met = r.join(w.hint("merge"), on).where((F.col(TS) >= F.col(START)) & (F.col(TS) < F.col(END)))
     return met.select(
         F.col(KEY).alias(key), F.col(TS).alias(ts), F.col(START).alias(start), F.col(END).alias(end), *[F.col(f"_rs_c_{c}").alias(c) for c in carry], *[c for c in keep if c not in (key, ts)]
     )
