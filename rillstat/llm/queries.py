@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.functions.events import is_finite, timed_events, unsigned_to_double, utc_day
-from rillstat.llm import radix, ultraloglog
+from rillstat.llm import bpe, packing, radix, ultraloglog
 from rillstat.operators.intervals import attach_intervals
 from rillstat.sources import table
 
@@ -103,7 +103,40 @@ def p5_combined(spark: SparkSession, d: str) -> DataFrame:
     return radix.bounded(radix.merge(hours, ["name_hash"]), ["name_hash"], [5000, 9900])
 
 
-QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's ids by byte_bpe_50k."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", bpe.encode(docs).alias("ids"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each text that its ids give back."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    coded = docs.select("doc_id", bpe.encode(docs).alias("ids"))
+    return coded.select("doc_id", bpe.decode(coded).alias("text")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return packing.pack(docs.select("doc_id", bpe.count_tokens(docs).alias("n_tokens")), n_items=docs.count())
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Where every document goes, in containers of 2,048 tokens."""
+    return _packed(spark, d)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(_packed(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the packing had to split."""
+    return _packed(spark, d).where(F.col("piece") == 1).select("doc_id").dropDuplicates()
+
+
+QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report}
 
 _TIMED = "SELECT DISTINCT seq, name_hash, lower(trim(metric_type)) AS type, value, item_hash, ts_ms FROM metric_events WHERE ts_ms >= 946684800000"
 
@@ -123,6 +156,7 @@ SQL = {
               JOIN e ON e.name_hash = w.name_hash AND e.ts_ms >= w.start_ms AND e.ts_ms < w.end_ms WHERE e.type = 'histogram' AND isfinite(e.value) GROUP BY ALL)
         SELECT DISTINCT name_hash, start_ms, end_ms FROM w LEFT JOIN v USING (name_hash, start_ms, end_ms)
         WHERE p99 IS NULL OR NOT isfinite(p99) OR abs(p99 - t) > 0.05 * abs(t)""",
+    "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p5_metric_day": f"""
         WITH e AS ({_TIMED}), g AS (SELECT name_hash, ts_ms // 86400000 AS d, list_sort(list(value)) AS v FROM e WHERE type = 'histogram' AND isfinite(value) AND name_hash IS NOT NULL GROUP BY ALL)
         SELECT name_hash, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, CAST(q AS INTEGER) AS q, len(v) AS n, v[(len(v) * q + 9999) // 10000] AS value
