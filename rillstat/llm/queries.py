@@ -27,14 +27,14 @@ def _day(c: Column) -> Column:
 def p2_metric_day(spark: SparkSession, d: str) -> DataFrame:
     """Estimated distinct identifiers per metric and day."""
     by = ["name_hash", "day_no"]
-    est = ultraloglog.estimate(ultraloglog.build(_identifiers(spark, d), by, "id"), by)
+    est = ultraloglog.estimate(ultraloglog.register_counts(ultraloglog.build(_identifiers(spark, d), by, "id"), by), by)
     return est.select("name_hash", _day(F.col("day_no")).alias("day"), F.round("estimate").cast("long").alias("distinct_ids"), "standard_error")
 
 
 def p2_scope_day(spark: SparkSession, d: str) -> DataFrame:
     """Estimated distinct identifiers per reported scope and day."""
     wanted = table(spark, d, "cardinality_reports").select(F.unix_date("report_day").alias("day_no"), "scope_id").dropna().dropDuplicates()
-    rows = ultraloglog.build_by_scope(_identifiers(spark, d), table(spark, d, "metric_scopes"), wanted, day="day_no", member="name_hash", scope="scope_id", identifier="id")
+    rows = ultraloglog.counts_by_scope(_identifiers(spark, d), table(spark, d, "metric_scopes"), wanted, day="day_no", member="name_hash", scope="scope_id", identifier="id")
     est = ultraloglog.estimate(rows, ["scope_id", "day_no"])
     return est.select("scope_id", _day(F.col("day_no")).alias("day"), F.round("estimate").cast("long").alias("distinct_ids"), "standard_error")
 
@@ -49,7 +49,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "cardinality_reports").select("report_id", F.unix_date("report_day").alias("day_no"), "scope_id", F.col("claimed").cast("double").alias("claimed")).dropDuplicates()
     ids, scopes = _identifiers(spark, d), table(spark, d, "metric_scopes")
     wanted = reports.where(F.col("claimed").isNotNull()).select("scope_id", "day_no").dropna()
-    rows = ultraloglog.build_by_scope(ids, scopes, wanted, day="day_no", member="name_hash", scope="scope_id", identifier="id")
+    rows = ultraloglog.counts_by_scope(ids, scopes, wanted, day="day_no", member="name_hash", scope="scope_id", identifier="id")
     est = ultraloglog.estimate(rows, ["scope_id", "day_no"])
     # one estimate a reported scope and day; the verdicts are cut off here because two branches read them
     from rillstat.session import ensure_checkpoint_dir

@@ -111,11 +111,15 @@ def likelihood_estimate(regs: np.ndarray, counts: np.ndarray, p: int = P) -> flo
     return m * math.sqrt(lo * hi)
 
 
-def estimate(sketches: DataFrame, by: list[str], p: int = P) -> DataFrame:
-    """(by..., ``estimate``, ``standard_error``) of each group. Groups without registers have no row."""
-    counts = sketches.groupBy(*by, "reg").agg(F.count(F.lit(1)).alias("n"))
+def register_counts(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., ``reg``, ``n``): how many registers of each group hold each value; all that an estimate needs."""
+    return sketches.groupBy(*by, F.col("reg").cast("int").alias("reg")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def estimate(counts: DataFrame, by: list[str], p: int = P) -> DataFrame:
+    """(by..., ``estimate``, ``standard_error``) of each group of ``register_counts``. Groups without registers have no row."""
     # a group has at most 4 * (66 - p) register values, however many identifiers
-    held = counts.groupBy(*by).agg(F.collect_list(F.struct(F.col("reg").cast("int").alias("reg"), "n")).alias("_rs_h"))
+    held = counts.groupBy(*by, "reg").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.collect_list(F.struct("reg", "n")).alias("_rs_h"))
 
     @F.pandas_udf("double")
     def ml(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -125,17 +129,42 @@ def estimate(sketches: DataFrame, by: list[str], p: int = P) -> DataFrame:
     return held.select(*by, ml("_rs_h").alias("estimate")).withColumn("standard_error", F.col("estimate") * F.lit(standard_error(p)))
 
 
-def build_by_scope(df: DataFrame, scopes: DataFrame, wanted: DataFrame, *, day: str, member: str, scope: str, identifier: str, p: int = P) -> DataFrame:
-    """Sketch rows (day, scope, ``idx``, ``reg``) of the wanted (day, scope) pairs, united from the sketches of the scopes' members.
+def unite_registers(rows: np.ndarray) -> np.ndarray:
+    """Union of packed registers, one array of registers a row; 0 is an unused register."""
+    top = rows.astype(np.uint64) >> np.uint64(2)
+    bits = np.where(rows > 0, ((rows.astype(np.uint64) & np.uint64(3)) | np.uint64(4)) << (np.maximum(top, np.uint64(1)) - np.uint64(1)), np.uint64(0))
+    x = np.bitwise_or.reduce(bits, axis=0)
+    u = np.frexp(x.astype(np.float64))[1] - 2  # bits lie below 2**53, so the double is exact
+    packed = u * 4 + ((x >> np.maximum(u - 1, 0).astype(np.uint64)) & np.uint64(3)).astype(np.int64)
+    return np.where(x > 0, packed, 0).astype(np.uint8)
+
+
+def counts_by_scope(df: DataFrame, scopes: DataFrame, wanted: DataFrame, *, day: str, member: str, scope: str, identifier: str, p: int = P, block_bits: int = 10) -> DataFrame:
+    """Register counts (day, scope, ``reg``, ``n``) of the wanted (day, scope) pairs, united from the sketches of the scopes' members.
 
-    Members are sketched once per day; their registers, which no longer grow
-    with the events, are then placed by (day, idx) once, where the expansion to
-    the scopes, their union and the counting of register values all happen
-    without another shuffle of registers.
+    Members are sketched once per day. Their registers, which no longer grow
+    with the events, go to tasks by day and block of register numbers, together
+    with the day's wanted scopes; a task lays its block out as one row of bytes
+    a member and unites rows for each scope. A task holds at most
+    ``2**block_bits`` bytes a member of the day.
     """
-    per_member = build(df, [day, member], identifier, p)
-    pairs = scopes.select(scope, member).dropDuplicates().join(wanted.select(day, scope).dropDuplicates(), scope)
-    # per (day, member), the scopes that want it
-    want = pairs.groupBy(day, member).agg(F.collect_set(scope).alias("_rs_scopes"))
-    rows = per_member.join(want, [day, member]).repartition(day, "idx")
-    return unite(rows.select(day, "idx", "reg", F.explode("_rs_scopes").alias(scope)), [day, scope])
+    per_member = build(df, [day, member], identifier, p).withColumn("_rs_block", F.shiftright("idx", block_bits))
+    pairs = scopes.select(scope, member).dropna().dropDuplicates().join(wanted.select(day, scope).dropna().dropDuplicates(), scope)
+    pairs = pairs.select(day, scope, member, F.explode(F.sequence(F.lit(0), F.lit((1 << max(0, p - block_bits)) - 1))).alias("_rs_block"))
+    kind = dict(df.dtypes) | dict(scopes.dtypes)
+
+    def unite_block(regs: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(regs) and len(want):
+            members, at = np.unique(regs[member].to_numpy(), return_inverse=True)
+            table = np.zeros((len(members), 1 << block_bits), np.uint8)
+            table[at, regs["idx"].to_numpy() & ((1 << block_bits) - 1)] = regs["reg"].to_numpy()
+            known = pd.Series(np.arange(len(members)), index=members)
+            want = want.assign(row=known.reindex(want[member].to_numpy()).to_numpy()).dropna(subset=["row"])
+            for s, rows in want.groupby(scope)["row"]:
+                n = np.bincount(unite_registers(table[rows.to_numpy().astype(int)]), minlength=1)
+                out += [(regs[day].iloc[0], s, int(r), int(n[r])) for r in np.nonzero(n)[0] if r]
+        return pd.DataFrame(out, columns=[day, scope, "reg", "n"])
+
+    grouped = per_member.groupBy(day, "_rs_block").cogroup(pairs.groupBy(day, "_rs_block"))
+    return grouped.applyInPandas(unite_block, f"{day} {kind[day]}, {scope} {kind[scope]}, reg int, n long")
