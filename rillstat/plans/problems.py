@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.functions.events import timed_events
-from rillstat.operators import balance, grid
+from rillstat.operators import balance, faults, grid
 from rillstat.sources import table
 
 
@@ -56,7 +56,12 @@ def p3_type_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return per_task.where(F.col("name_hash").isNotNull()).groupBy("name_hash").agg(F.max("registered").alias("registered"), F.sum("n").alias("n_events"), F.sum("ok").alias("n_agree"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_counter_grid": p1_counter_grid, "p3_found": p3_found, "p3_metric_day": p3_metric_day, "p3_type_mismatch": p3_type_mismatch}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Impossible, spiked and stuck gauge readings; each reporting window of a source is judged by itself."""
+    return faults.faulty_readings(timed_events(table(spark, d, "metric_events"), "gauge"), table(spark, d, "report_schedule"), table(spark, d, "source_limits"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_counter_grid": p1_counter_grid, "p3_found": p3_found, "p3_metric_day": p3_metric_day, "p3_type_mismatch": p3_type_mismatch, "p4_found": p4_found}
 
 _TIMED = "SELECT DISTINCT seq, name_hash, lower(trim(metric_type)) AS type, value, item_hash, ts_ms FROM metric_events WHERE ts_ms >= 946684800000"
 
