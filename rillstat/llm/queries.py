@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstat.functions.events import is_finite, timed_events, unsigned_to_double, utc_day
-from rillstat.llm import bpe, packing, radix, ultraloglog
+from rillstat.llm import bpe, packing, radix, stuffing, ultraloglog
 from rillstat.operators.intervals import attach_intervals
 from rillstat.sources import table
 
@@ -136,7 +136,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).where(F.col("piece") == 1).select("doc_id").dropDuplicates()
 
 
-QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages mostly of repeated keywords, links or product tags that lie far from the pages of their language."""
+    from rillstat.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    # the texts are read once; medians, deviations, covariance and distances all come from the few numbers of a page
+    rows = stuffing.features(table(spark, d, "documents")).checkpoint()
+    return stuffing.distances(rows).where((F.col("density") > stuffing.SHARE) & (F.col("distance") > stuffing.CUTOFF)).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_found": p8_found}
 
 _TIMED = "SELECT DISTINCT seq, name_hash, lower(trim(metric_type)) AS type, value, item_hash, ts_ms FROM metric_events WHERE ts_ms >= 946684800000"
 

@@ -1,0 +1,39 @@
+"""Problem 8: pages of repeated keywords, links and product tags."""
+
+import __spark_entry__ as driver
+from rillstat.llm.stuffing import SHARE, measure
+from rillstat.session import get_spark
+
+SENTENCES = "The magistrates declined to discuss the tramway in spite of the heavy rain. The choir has again complained of the new organ at the house of the widow. "
+LINKS = "p. 40: http://www.morley-shop.example/ad/17\nGasthof fenlow.boots.localhost/a?id=3\n<a href=\"//tarby.tea.test/p_5\">soap</a>\n"
+CASES = {
+    "list": "tea, soap, boots, tea, lamp oil, soap, tea, boots, soap, tea, lamp oil, boots, " * 4,
+    "pairs": "best corsets best corsets Norford improved starch improved starch Pelby cheap tramway cheap tramway " * 3,
+    "numbered": "tickets warranted, tickets No. 2, new\nbargains new, bargains A502, best\ncoal genuine, coal A73, finest\n" * 4,
+    "sentences": "Buy tickets cheap, tickets and portraits! No tickets like best tickets? Portraits is the finest portraits for portraits. " * 5,
+    "tags": "#tea #soap @boots\n#lace #tea @soap\n" * 6,
+    "links": LINKS * 5,
+}
+SOUND = {
+    "article": SENTENCES * 4,
+    "article with links": SENTENCES * 6 + LINKS,
+    "names": "".join(f"Hal{c}ick, Thor{c}am, carter, {20 + i} years.\n" for i, c in enumerate("bdfghklmnprstvw")),
+    "prices": "Peas, per qr. 94s. 8d. to 23s. 7d.\nMalt, per qr. 12s. 1d. to 15s. 9d.\n" * 6,
+    "adverts": "WANTED, a steady girl for plain cooking. Apply Morlet, Fenby.\nLOST, near Ruddle, a brown retriever. Reward.\n" * 5,
+    "unreadable": "j!«11■1i_-jj.j ^»¦ «j*■ I•;Ij,«•j _,  » | :j|_»-;¦ »^,» ^i •-«j«•j•.1■l~~*^;~•■^",
+    "empty": "",
+    "null": None,
+}
+
+
+def test_share_of_characters():
+    assert {k: measure(v)[1] > SHARE for k, v in CASES.items()} == dict.fromkeys(CASES, True)
+    assert {k: measure(v)[1] > SHARE for k, v in SOUND.items()} == dict.fromkeys(SOUND, False)
+
+
+def test_query_names_the_cases(tmp_path):
+    spark = get_spark("test", 2)
+    sound = [(i, v) for i, v in enumerate(list(SOUND.values()) * 4)]
+    cases = [(1000 + i, v) for i, v in enumerate(CASES.values())]
+    spark.createDataFrame(sound + cases, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in driver.queries()["p8_found"](spark, str(tmp_path)).collect()) == [i for i, _ in cases]
