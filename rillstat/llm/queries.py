@@ -31,10 +31,20 @@ def p2_metric_day(spark: SparkSession, d: str) -> DataFrame:
     return est.select("name_hash", _day(F.col("day_no")).alias("day"), F.round("estimate").cast("long").alias("distinct_ids"), "standard_error")
 
 
+def p2_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated distinct identifiers per metric over all days, from its united daily sketches."""
+    days = ultraloglog.build(_identifiers(spark, d), ["name_hash", "day_no"], "id")
+    est = ultraloglog.estimate(ultraloglog.register_counts(ultraloglog.unite(days, ["name_hash"]), ["name_hash"]), ["name_hash"])
+    return est.select("name_hash", F.round("estimate").cast("long").alias("distinct_ids"), "standard_error")
+
+
 def p2_scope_day(spark: SparkSession, d: str) -> DataFrame:
-    """Estimated distinct identifiers per reported scope and day."""
-    wanted = table(spark, d, "cardinality_reports").select(F.unix_date("report_day").alias("day_no"), "scope_id").dropna().dropDuplicates()
-    rows = ultraloglog.counts_by_scope(_identifiers(spark, d), table(spark, d, "metric_scopes"), wanted, day="day_no", member="name_hash", scope="scope_id", identifier="id")
+    """Estimated distinct identifiers per scope and day, for every day on which a metric of the scope has any."""
+    ids, scopes = _identifiers(spark, d), table(spark, d, "metric_scopes")
+    # read anew: columns of one frame on both sides of the later cogroup would be ambiguous
+    days = _identifiers(spark, d).select("name_hash", "day_no").dropDuplicates()
+    wanted = table(spark, d, "metric_scopes").select("scope_id", "name_hash").dropna().dropDuplicates().join(days, "name_hash").select("day_no", "scope_id").dropDuplicates()
+    rows = ultraloglog.counts_by_scope(ids, scopes, wanted, day="day_no", member="name_hash", scope="scope_id", identifier="id")
     est = ultraloglog.estimate(rows, ["scope_id", "day_no"])
     return est.select("scope_id", _day(F.col("day_no")).alias("day"), F.round("estimate").cast("long").alias("distinct_ids"), "standard_error")
 
@@ -146,7 +156,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.distances(rows).where((F.col("density") > stuffing.SHARE) & (F.col("distance") > stuffing.CUTOFF)).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p2_combined": p2_combined, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_found": p8_found}
 
 _TIMED = "SELECT DISTINCT seq, name_hash, lower(trim(metric_type)) AS type, value, item_hash, ts_ms FROM metric_events WHERE ts_ms >= 946684800000"
 
