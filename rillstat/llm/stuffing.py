@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,15 @@ _LINK = re.compile(r"https?|h[it1l]{1,2}[tlj]?p\s*:|://|//|www|vvw|wvv|href|\?\s
 _BROKEN = re.compile(r"[-­‐‑¬=]\s*\n\s*")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){3,}[^\W\d_](?!\S)")
 _LEET = str.maketrans("@013$5", "aoless")
+_MARKS = re.compile("[\u0300-\u036f]")
 _NUMBER = re.compile(r"\W*[a-z]?\d")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def _plain(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).replace("ſ", "s").lower()
+    if not s.isascii():
+        s = _MARKS.sub("", unicodedata.normalize("NFKD", s)).replace("ſ", "s")
+    return s.lower()
 
 
 _FOLDS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "n"))
@@ -59,6 +63,7 @@ _BY_LANGUAGE = {k: frozenset(_fold(_plain(w)) for w in v) for k, v in FUNCTION_W
 _ALL = frozenset().union(*_BY_LANGUAGE.values())
 
 
+@lru_cache(1 << 16)
 def _word(token: str) -> str:
     """The word of a token, disguises undone; '' without letters, '0' for a number."""
     if _NUMBER.match(token) or not any(c.isalpha() for c in token):
@@ -68,19 +73,30 @@ def _word(token: str) -> str:
     return _fold("".join(_WORD.findall(token)))
 
 
-def _mark_sentences(words: list[str], link: np.ndarray, spam: np.ndarray) -> None:
+@lru_cache(1 << 16)
+def _is_link(token: str) -> bool:
+    return _LINK.search(token) is not None
+
+
+def _mark_sentences(words: list[str], link: list[bool], spam: np.ndarray) -> None:
     """Marks stretches of STRETCH words whose own words are mostly repeated and follow each other closely, function words or not."""
     at = [k for k, w in enumerate(words) if w and not link[k]]
-    content = np.array([len(words[k]) > 2 and words[k] not in _ALL for k in at], dtype=bool)
+    all_own = [words[k] for k in at]
+    content = [len(w) > 2 and w not in _ALL for w in all_own]
+    close, last = [False] * len(at), {}
+    for k, w in enumerate(all_own):
+        if content[k]:
+            close[k] = k - last.get(w, -9) <= 5
+            last[w] = k
+    if sum(close) <= 0.15 * STRETCH / 2:
+        return
     for a in range(0, len(at) - STRETCH // 2, STRETCH // 4):
-        own = [words[k] for k in at[a : a + STRETCH]]
-        is_content = content[a : a + STRETCH]
-        count = Counter(w for w, c in zip(own, is_content) if c)
-        if not count or own.count("0") > 0.05 * len(own):
+        b = min(a + STRETCH, len(at))
+        if sum(close[a:b]) <= 0.15 * (b - a) or all_own[a:b].count("0") > 0.05 * (b - a):
             continue
-        near = sum(c and w in own[max(0, k - 5) : k] for k, (w, c) in enumerate(zip(own, is_content))) / len(own)
-        if near > 0.15 and sum(c for c in count.values() if c > 1) > 0.6 * sum(count.values()):
-            spam[at[a] : at[min(a + STRETCH, len(at)) - 1] + 1] = True
+        count = Counter(w for w, c in zip(all_own[a:b], content[a:b]) if c)
+        if sum(c for c in count.values() if c > 1) > 0.6 * sum(count.values()):
+            spam[at[a] : at[b - 1] + 1] = True
 
 
 def measure(text: str | None) -> tuple[str, float, float, float, float]:
@@ -90,10 +106,10 @@ def measure(text: str | None) -> tuple[str, float, float, float, float]:
     if not tokens:
         return "none", 0.0, 0.0, 0.0, 0.0
     words = [_word(k) for k in tokens]
-    link = np.array([bool(_LINK.search(k)) for k in tokens])
+    link = [_is_link(k) for k in tokens]
     size = np.array([len(k) + 1 for k in tokens])
     seen = Counter(w for w, is_link in zip(words, link) if not is_link and len(w) > 1)
-    spam = link.copy()
+    spam = np.array(link)
     at = np.flatnonzero(link)
     for a, b in zip(at[:-1], at[1:]):
         if b - a - 1 <= CAPTION:
@@ -102,20 +118,21 @@ def measure(text: str | None) -> tuple[str, float, float, float, float]:
     if len(at) > 2 and at[0] <= CAPTION:
         spam[: at[0]] = True
     often = 2 if len(tokens) > 80 else 1
+    is_function = [w in _ALL for w in words]
     i, n = 0, len(tokens)
     while i < n:
-        if link[i] or words[i] in _ALL:
+        if link[i] or is_function[i]:
             i += 1
             continue
         j = i
-        while j < n and not link[j] and words[j] not in _ALL:
+        while j < n and not link[j] and not is_function[j]:
             j += 1
         run = [w for w in words[i:j] if w]
         tags = len(run) > 2 and run[0].startswith(_fold("tag"))
         if len(run) >= RUN or tags:
             numbers = run.count("0") / len(run)
             letters = [w for w in run if w != "0"]
-            again = sum(seen[w] > often for w in letters) / max(1, len(letters))
+            again = sum(seen.get(w, 0) > often for w in letters) / max(1, len(letters))
             near = sum(w in run[max(0, k - 3) : k] for k, w in enumerate(run) if w != "0") / len(run)
             readable = sum(len(w) > 2 for w in run) / (j - i)
             if readable > 0.35 and ((numbers < 0.05 and again > 0.6 and (tags or len(run) >= LIST)) or (near > 0.12 and 0.05 <= numbers < 0.25) or (near > 0.22 and numbers < 0.05)):
@@ -123,12 +140,13 @@ def measure(text: str | None) -> tuple[str, float, float, float, float]:
         i = j
     _mark_sentences(words, link, spam)
     real = [w for w in words if w]
-    by_language = {k: sum(w in v for w in real) for k, v in _BY_LANGUAGE.items()}
+    counts = Counter(real)
+    by_language = {k: sum(counts[w] for w in v if w in counts) for k, v in _BY_LANGUAGE.items()}
     language = max(by_language, key=by_language.get)
     total = max(1, len(real))
-    entropy = -sum(c / total * math.log2(c / total) for c in Counter(real).values()) / math.log2(max(2, total))
+    entropy = -sum(c / total * math.log2(c / total) for c in counts.values()) / math.log2(max(2, total))
     density = float(size[spam].sum() / size.sum())
-    return language, density, entropy, 1 - len(set(real)) / total, by_language[language] / total
+    return language, density, entropy, 1 - len(counts) / total, by_language[language] / total
 
 
 def features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
