@@ -1,7 +1,7 @@
 """Per-key work without a few tasks running far longer than the rest.
 
-Fragment-replicate by estimated load: the rows of every key are counted (one
-narrow scan with map-side combine), keys are packed into tasks by load, keys
+Fragment-replicate by estimated load: the rows of every key are estimated from a
+sample (one narrow scan), keys are packed into tasks by load, keys
 above a task's share are split into proportionate shards, and a matching side
 is copied only to the shards of its own key.
 
@@ -61,25 +61,34 @@ def pack_loads(heavy: list, light: list, tasks: int, target: float) -> tuple[lis
     return [(k, shards[i]) for i, (k, _) in enumerate(heavy)], sorted(where.items())
 
 
-def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
-    """Count the rows of each key and plan their tasks. Null is a key like any other. An empty table gives an empty plan."""
+def plan_load(df: DataFrame, key: str, tasks: int | None = None, *, fraction: float = 0.1, seed: int = 7) -> LoadPlan:
+    """Estimate the load of each key from a sample of its rows, in one narrow job, and plan the tasks of the keys.
+
+    The plan decides only where rows are worked on, never a result. Null is a key
+    like any other. Each hash bucket reports its number of rows and a bounded
+    summary of its most frequent keys, so the driver gets at most
+    ``BUCKETS_PER_TASK`` rows a task. An empty sample gives an even plan.
+    """
     spark = df.sparkSession
     tasks = tasks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = tasks * BUCKETS_PER_TASK
-    loads = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    light_rows = loads.groupBy(_key_id(F.col("k"), buckets).alias("b")).agg(F.sum("n").alias("n")).collect()  # at most `buckets` rows
-    total = sum(r["n"] for r in light_rows)
-    target = max(1.0, total / tasks)
-    # fewer than `tasks` keys can each hold more than 1/tasks of all rows
-    heavy = [(r["k"], r["n"]) for r in loads.where(F.col("n") > target).collect()] if total else []
-    held = {r["b"]: r["n"] for r in light_rows}
-    if heavy:
-        own = spark.createDataFrame([(k,) for k, _ in heavy], T.StructType([T.StructField("k", df.schema[key].dataType)])).select("k", _key_id(F.col("k"), buckets).alias("b")).collect()
-        at = {r["k"]: r["b"] for r in own}
-        for k, n in heavy:
-            held[at[k]] -= n
+    k = F.col(key)
+    frequent = F.call_function("approx_top_k", F.col("k"), F.lit(BUCKETS_PER_TASK), F.lit(1000))
+    rows = (
+        df.sample(fraction=fraction, seed=seed).select(k.alias("k")).groupBy(_key_id(F.col("k"), buckets).alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count("k")).alias("nulls"), frequent.alias("top")).collect()
+    )
+    held = {r["b"]: r["n"] for r in rows}
+    target = max(1.0, sum(held.values()) / tasks)
+    heavy = []
+    for r in rows:
+        found = [(t["item"], t["count"]) for t in r["top"]] + [(None, r["nulls"])]
+        for item, n in found:
+            if n > target:
+                heavy.append((item, n))
+                held[r["b"]] -= n
     heavy.sort(key=lambda kn: (-kn[1], str(kn[0])))
-    packed, light = pack_loads(heavy, sorted(held.items()), tasks, target)
+    packed, light = pack_loads(heavy, sorted((b, max(0, n)) for b, n in held.items()), tasks, target)
     return LoadPlan(tasks, target, df.schema[key].dataType, packed, light)
 
 
@@ -151,7 +160,13 @@ def metric_days(events: DataFrame, *, key: str = "name_hash", ts: str = "ts_ms",
 
 
 def dominant_keys(per_day: DataFrame, *, key: str = "name_hash", share: float = 0.03) -> DataFrame:
-    """Keys with more than ``share`` of all events of a day. Events without a key count in the total but aren't a key."""
+    """Keys with more than ``share`` of all events of a day. Events without a key count in the total but aren't a key.
+
+    Both sides of the join are the same aggregation, whose shuffle is used
+    twice: the test for a key stands in one condition with the day's total, so
+    that it can't be moved below one side's shuffle and make them differ.
+    """
     totals = per_day.groupBy(F.col("day_no").alias("_rs_day")).agg(F.sum("n_events").alias("day_events"))
-    met = per_day.where(F.col(key).isNotNull()).join(totals, F.col("day_no") == F.col("_rs_day"))
-    return met.where(F.col("n_events") > F.col("day_events") * F.lit(share)).select(key, "day_no", "n_events", "day_events")
+    of_key = F.when(F.col(key).isNotNull(), F.col("n_events")).otherwise(0)
+    met = per_day.join(totals, F.col("day_no").eqNullSafe(F.col("_rs_day")))
+    return met.where(of_key > F.col("day_events") * F.lit(share)).select(key, "day_no", "n_events", "day_events")
