@@ -1,4 +1,4 @@
-"""Session settings the library relies on; a cluster's own settings win over them."""
+"""Session settings the library relies on."""
 
 from __future__ import annotations
 
@@ -17,7 +17,10 @@ _DEFAULTS = {
 
 
 def get_spark(app: str = "rillstat", cores: int | None = None, **conf: str) -> SparkSession:
-    """A session for tests, benches and notebooks. On a cluster use the one that is there."""
+    """A session for tests, benches and notebooks: the running one as it is, else a new one with the defaults and ``conf``."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     builder = SparkSession.builder.appName(app)
     if cores:
         builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores))
@@ -27,9 +30,19 @@ def get_spark(app: str = "rillstat", cores: int | None = None, **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = folder or os.path.join(tempfile.gettempdir(), "rillstat-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """The shared folder of ``spark.checkpoint.dir``, set for the session if it isn't yet.
+
+    Where the setting is missing, a local master (tests) gets a temporary folder;
+    on a cluster that is an error, as executors don't share one.
+    """
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if not now.isEmpty():
+        return now.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "rillstat-checkpoints")
+    sc.setCheckpointDir(folder)
+    return folder
