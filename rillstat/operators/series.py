@@ -79,7 +79,7 @@ def exponential(df: DataFrame, *, key: str, ts: str, value: str, order: str, wei
 
     def run(x: np.ndarray, start: float, var: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ema = _blend(x, weight, start)
-        before = np.concatenate(([start], ema[:-1]))
+        before = np.concatenate(([start], ema))[:-1]
         d = x - before
         v = _blend(b * d * d, weight, var) if weight < 1 else np.zeros(len(x))
         return ema, before, v
