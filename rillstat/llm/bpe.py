@@ -9,14 +9,16 @@ in order, puts in its gadget: the state that u leads to is replaced by a copy
 without the arc v (so u can no longer be followed by v), and wherever u and then
 v could be read, the arc w leads to where v led. A state is thus a chain of
 (removed arc, merge number) links; a token's state is fixed by the token alone.
-Whether a state has an arc for a token follows from the removals on its chain
-and the token's own history; the answers used are kept in a transition table.
+The compiled transition table is the complement: all removed arcs of all states,
+(state, token) -> merge number, in one hash table. A token's arc is in a state
+unless it, or the arc of a left part from which it came, was removed before the
+merge that needed it; so a transition takes one look-up for each left part.
 
-A pre-split word is encoded by reading the longest token that the current state
-has an arc for, giving way to shorter ones where the path ends; as the word has
-exactly one path, the first that reaches the end is the encoding. Words repeat,
-so a worker keeps the paths of words it has met (bounded; the paths of words
-that were dropped are found again). Decoding emits the labels of the arcs.
+A pre-split word is encoded in one pass over its bytes, without backtracking: as
+every prefix of a word has exactly one path, the last token of a prefix is the
+one token ending there whose start has a path with an arc for it. The paths of
+words met lately are kept (a bounded number). Decoding emits the labels of the
+arcs.
 
 The tokenizer is a public vocabulary file in the format of the `tokenizers`
 library (byte-level BPE); the file's content goes to the workers by broadcast,
@@ -40,8 +42,6 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Where the public vocabularies lie, unless a path is given.
-TOKENIZER_DIR = os.environ.get("RILLSTAT_TOKENIZERS", "/opt/tokenizers")
 MAX_FILE_BYTES = 32 * 2**20
 _KEPT_WORDS = 400_000
 _KEPT_WORD_CHARS = 64
@@ -49,7 +49,10 @@ _START = -1
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    return os.path.join(TOKENIZER_DIR, name)
+    """The place of a vocabulary file of the installed public tokenizers, where no path is given."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -77,20 +80,19 @@ class TokenAutomaton:
         for n, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self._gadget(n, vocab[a], vocab[b], vocab[a + b])
-        self.removed: dict[int, dict[int, int]] = {_START: {}}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
-        self.trie: dict[int, int] = {}  # node << 8 | byte -> node
+        #: the tokens that end with a byte string, by a trie of reversed tokens: node << 8 | byte -> node
+        self.trie: dict[int, int] = {}
         self.node_token: list[int] = [-1]
         for b, t in self.token.items():
             at = 0
-            for x in b:
+            for x in reversed(b):
                 step = at << 8 | x
                 at = self.trie.get(step, 0)
                 if not at:
                     at = self.trie[step] = len(self.node_token)
                     self.node_token.append(-1)
             self.node_token[at] = t
+        self._compile()
         self.words = _Words(self)
         self.lengths = _Lengths(self.words)
         self.split = regex.compile(PATTERN).findall
@@ -103,75 +105,58 @@ class TokenAutomaton:
         self.links.append((self.state.get(u, _START), v, n))
         self.state[u] = len(self.links) - 1
 
-    def has_arc(self, state: int, t: int) -> bool:
-        """Whether ``state`` can read token ``t``."""
-        known = self.arcs.get((state, t))
-        if known is not None:
-            return known
-        gone = self.removed.get(state)
-        if gone is None:
-            gone, at = {}, state
+    def _compile(self) -> None:
+        """The table of removed arcs, and for each token the steps of its history: (token << 20, last merge that counts)."""
+        self.gone: dict[int, int] = {}
+        for t, at in self.state.items():
             while at != _START:
                 at, arc, n = self.links[at]
-                gone[arc] = n
-            self.removed[state] = gone
-        # t's arc came from that of its left part, which must still have been there at that merge
-        ok, x, until = True, t, len(self.links) + 1
-        while True:
-            n = gone.get(x)
+                self.gone[t << 20 | arc] = n  # the chain goes back in time: the first removal stays
+        last = len(self.links) + 1
+        self.history: dict[int, tuple[tuple[int, int], ...]] = {}
+        for t in self.label:
+            steps, x, until = [], t, last
+            while True:
+                steps.append((x, until))
+                if x not in self.left:
+                    break
+                until, x = self.born[x], self.left[x]
+            self.history[t] = tuple(steps)
+        self.links = []
+
+    def has_arc(self, before: int, t: int) -> bool:
+        """Whether the state after token ``before`` reads token ``t``; the start (-1) reads every token."""
+        if before < 0:
+            return True
+        row, gone = before << 20, self.gone
+        for x, until in self.history[t]:
+            n = gone.get(row | x)
             if n is not None and n <= until:
-                ok = False
-                break
-            if x not in self.left:
-                break
-            until, x = self.born[x], self.left[x]
-        self.arcs[state, t] = ok
-        return ok
-
-    def _longest(self, b: bytes, at: int) -> int:
-        node, best, trie, tokens = 0, -1, self.trie, self.node_token
-        for x in b[at : at + 512]:
-            node = trie.get(node << 8 | x, 0)
-            if not node:
-                break
-            if tokens[node] >= 0:
-                best = tokens[node]
-        return best
-
-    def _shorter(self, t: int) -> int:
-        """The longest token that is a proper prefix of ``t``, or -1."""
-        s = self.shorter.get(t)
-        if s is None:
-            b = self.label[t]
-            s = self.shorter[t] = next((self.token[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.token), -1)
-        return s
+                return False
+        return True
 
     def path(self, word: bytes) -> tuple[int, ...]:
         """The one token path of a pre-split word."""
-        whole = self.token.get(word)
-        if whole is not None:
-            return (whole,)
-        path: list[int] = []
-        ends: list[int] = [0]
-        dead = bytearray(len(word) + 1)
-        t = self._longest(word, 0)
-        while True:
-            at = ends[-1]
-            state = self.state.get(path[-1], _START) if path else _START
-            while t >= 0 and (dead[at + len(self.label[t])] or not self.has_arc(state, t)):
-                t = self._shorter(t)
-            if t >= 0:
-                path.append(t)
-                ends.append(at + len(self.label[t]))
-                if ends[-1] == len(word):
-                    return tuple(path)
-                t = self._longest(word, ends[-1])
-            else:  # no arc leads on from here: this end can't be part of the path
-                dead[at] = 1
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the text")
-                t = self._shorter(path.pop())
-                ends.pop()
+        trie, tokens, last = self.trie, self.node_token, [-1] * (len(word) + 1)
+        for end in range(1, len(word) + 1):
+            node, start = 0, end
+            while start:
+                start -= 1
+                node = trie.get(node << 8 | word[start], 0)
+                if not node:
+                    break
+                t = tokens[node]
+                if t >= 0 and (not start or last[start] >= 0) and self.has_arc(last[start], t):
+                    last[end] = t
+                    break
+        out, at = [], len(word)
+        while at:
+            t = last[at]
+            if t < 0:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            out.append(t)
+            at -= len(self.label[t])
+        return tuple(reversed(out))
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for a null or empty one."""
