@@ -28,7 +28,8 @@ def ordered_key(v: Column) -> Column:
     """BIGINT of the same order as the finite double ``v``: its bit pattern, negated below zero; -0.0 equals 0.0.
 
     Made of built-in arithmetic (scaling by powers of two is exact), so it stays
-    in generated code. Non-finite values must be left out before.
+    in generated code. Non-finite values must be left out before; a null gives 0,
+    so that the result is never null and no test for it is copied into a scan.
     """
     a = F.abs(v)
     guess = F.floor(F.log2(a)).cast("int")
@@ -37,7 +38,7 @@ def ordered_key(v: Column) -> Column:
     normal = (e.cast("long") + 1023) * F.lit(2**52).cast("long") + ((a / F.pow(F.lit(2.0), e) - 1) * _TWO52).cast("long")
     tiny = (a * 2.0**537 * 2.0**537).cast("long")
     bits = F.when(a < 2.0**-1022, tiny).otherwise(normal)
-    return F.when(v < 0, -bits).otherwise(bits)
+    return F.coalesce(F.when(v < 0, -bits).otherwise(bits), F.lit(0).cast("long"))
 
 
 def key_value(k: Column) -> Column:
@@ -100,11 +101,12 @@ def select_exact(keys: DataFrame, by: list[str], quantiles: list[int], key: str
     percent of all rows); the later passes read only these.
     """
     ensure_checkpoint_dir(keys.sparkSession)
-    at = _ranked(histogram(keys, by, key, DIGITS[0]), by, quantiles)
+    # one pass for the digits, a second for their rows; the few target rows are cut off in between
+    found = _ranked(histogram(keys, by, key, DIGITS[0]), by, quantiles).withColumnRenamed("digit", "_rs_prefix").checkpoint()
     # keys that several quantiles follow are held once: the digits are matched, not the quantiles
-    rest = keys.select(*by, F.col(key).alias("_rs_key")).withColumn("digit", digit(F.col("_rs_key"), 0, DIGITS[0])).join(at.select(*by, "digit").dropDuplicates(), [*by, "digit"], "left_semi")
+    wanted = found.select(*by, F.col("_rs_prefix").alias("digit")).dropDuplicates()
+    rest = keys.select(*by, F.col(key).alias("_rs_key")).withColumn("digit", digit(F.col("_rs_key"), 0, DIGITS[0])).join(wanted, [*by, "digit"], "left_semi")
     rest = rest.groupBy(*by, "_rs_key").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    found = at.withColumnRenamed("digit", "_rs_prefix").checkpoint()
     done = DIGITS[0]
     for bits in DIGITS[1:]:
         group = [*by, "_rs_prefix"]
