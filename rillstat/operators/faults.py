@@ -36,22 +36,58 @@ def _medians(x: np.ndarray, lags: list[int]) -> np.ndarray:
     return np.where(n > 0, out, np.nan)
 
 
-def _step(x: np.ndarray) -> float:
-    """The step of a source that moves in whole steps; 0 for any other."""
+def _common_step(x: np.ndarray) -> tuple[float, int]:
+    """(step, number of moves): the greatest step of which nine of ten moves are multiples, 0 if there is none.
+
+    Most moves alike are the step. Else tried are the most frequent moves, then what Euclid's rule finds over all of
+    them; a step far below the usual move is the grain of a source that moves freely.
+    """
     d = np.abs(np.diff(x))
     d = d[d > 1e-12 * max(1.0, float(np.max(np.abs(x))))] if len(x) else d
     if not len(d):
-        return 0.0
-    u = float(np.sort(d)[len(d) // 10])
-    whole = np.abs(d / u - np.round(d / u)) < 1e-3
-    return u if np.mean(whole) >= 0.9 else 0.0
+        return 0.0, 0
+    usual = float(np.sort(d)[len(d) // 10])
+
+    def whole(u: float) -> bool:
+        k = np.round(d / u) if u > 0 else np.zeros(len(d))
+        return float(np.mean((k >= 1) & (np.abs(d - k * u) < 1e-3 * u))) >= 0.9
+
+    moves, times = np.unique(np.round(d, 9), return_counts=True)
+    if 2 * times.max() > len(d):
+        return float(moves[np.argmax(times)]), len(d)
+    for u in sorted(moves[np.argsort(-times, kind="stable")[:5]].tolist(), reverse=True):
+        if whole(u):
+            return u, len(d)
+    step = 0.0
+    for m in moves:
+        while m > 1e-3 * usual:
+            step, m = m, (step % m if step else 0.0)
+            if abs(step - m) <= 1e-3 * usual:
+                m = 0.0
+        if step < 0.01 * usual:
+            return 0.0, len(d)
+    return (step, len(d)) if whole(step) else (0.0, len(d))
+
+
+def whole_step(x: np.ndarray) -> tuple[float, float]:
+    """(step, weight) of finite readings in order.
+
+    All moves count if they have a step and are ten at least; else those of the
+    running median of nine readings, which spikes don't reach; else, in readings
+    that stand still but for single moves, these, at a thousandth of the weight.
+    """
+    step, n = _common_step(x)
+    if n < 10 or not step:
+        calm, m = _common_step(np.sort(np.lib.stride_tricks.sliding_window_view(x, 9), axis=1)[:, 4]) if len(x) >= 9 else (0.0, 0)
+        return (calm, float(m)) if m else (step, n / 1000)
+    return step, float(n)
 
 
-def _scatter(x: np.ndarray) -> float:
+def _scatter(x: np.ndarray, step: float) -> float:
     """The usual deviation from the local level, at least one step."""
     res = np.abs(x - _medians(x, [-4, -3, -2, -1, 1, 2, 3, 4]))
     res = res[np.isfinite(res)]
-    return max(1.4826 * float(np.median(res)) if len(res) else 0.0, _step(x))
+    return max(1.4826 * float(np.median(res)) if len(res) else 0.0, step)
 
 
 def _long_runs(x: np.ndarray, tol: float) -> np.ndarray:
@@ -135,24 +171,25 @@ def _spikes(x: np.ndarray, limit: float) -> np.ndarray:
     return found
 
 
-def judge(x: np.ndarray, low: float, high: float) -> np.ndarray:
-    """The faulty readings of one window, in order of time. NaN bounds don't limit."""
+def judge(x: np.ndarray, low: float, high: float, step: float | None = None) -> np.ndarray:
+    """The faulty readings of one window, in order of time. NaN bounds don't limit. ``step``: that of the source, 0 for none; None takes the window's own."""
     bad = ~np.isfinite(x) | (x < low) | (x > high)
     good = np.flatnonzero(~bad)
     y = x[good]
     if len(y) < 2:
         return bad
-    s = _scatter(y)
+    step = whole_step(y)[0] if step is None else step
+    s = _scatter(y, step)
     stuck = np.zeros(len(y), dtype=bool)
     # a source whose scatter is its step stands still by nature
-    for _ in range(2 if s > _step(y) else 0):
+    for _ in range(2 if s > step else 0):
         stuck = _long_runs(np.where(bad, np.nan, x), STUCK_SCATTERS * s)[good]
         steady = ~(stuck[1:] & stuck[:-1])
         repeats = np.abs(np.diff(y))[steady] <= STUCK_SCATTERS * s
         if not stuck.any() or not steady.any() or np.mean(repeats) > REPEAT_SHARE:
             stuck[:] = False
             break
-        s = _scatter(y[~stuck]) if np.sum(~stuck) > 2 * SIDE else s
+        s = _scatter(y[~stuck], step) if np.sum(~stuck) > 2 * SIDE else s
     out = bad.copy()
     out[good] = stuck | _spikes(y, SPIKE_SCATTERS * s)
     return out
@@ -174,18 +211,41 @@ def faulty_readings(
 ) -> DataFrame:
     """``order`` of each faulty reading. Null and NaN values are no readings; infinite ones are faulty.
 
-    Readings in no window are not judged. Of readings at one time ``order`` decides.
+    Readings in no window, or without key or time, are not judged; nor are those
+    of windows that don't end after their start. Repeated deliveries and windows
+    count once, of repeated limits the tightest holds, a source without limits
+    has none. Of readings at one time ``order`` decides. Empty tables give no rows.
+
+    Two passes over the readings, grouped by window so that no task holds a hot
+    source: the first asks each window for its step, by which a source is known
+    that moves in whole steps; the second judges. Limits and steps come with the
+    windows, which are few.
     """
+    window = [key, start, end]
     some = readings.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    met = attach_intervals(some, schedule, key=key, ts=ts, start=start, end=end, keep=(value, order), shards=4, shard_by=order, dedupe=True)
-    # repeated limits: the tightest holds
-    bounds = limits.groupBy(key).agg(F.max(low).alias("_rs_low"), F.min(high).alias("_rs_high"))
-    met = met.join(F.broadcast(bounds), key, "left")
-    kind = readings.schema[order].dataType.simpleString()
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
+    def grouped():
+        return attach_intervals(some, schedule, key=key, ts=ts, start=start, end=end, keep=(value, order), shards=4, shard_by=order, dedupe=True).groupBy(*window)
+
+    def vote(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values([ts, order], kind="stable")[value].to_numpy(float)
+        step, moves = whole_step(x[np.isfinite(x)])
+        return pd.DataFrame([(g[key].iloc[0], round(step, 9), moves)], columns=["_rs_k", "_rs_step", "_rs_moves"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in schedule.schema.fields}
+    votes = grouped().applyInPandas(vote, f"_rs_k {kinds[key]}, _rs_step double, _rs_moves double")
+    per_step = votes.groupBy("_rs_k", "_rs_step").agg(F.sum("_rs_moves").alias("_rs_moves"))
+    steps = per_step.groupBy("_rs_k").agg(F.max_by("_rs_step", "_rs_moves").alias("_rs_step"))
+    bounds = limits.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_rs_l")).agg(F.max(low).cast("double").alias("_rs_low"), F.min(high).cast("double").alias("_rs_high"))
+    windows = schedule.select(*[F.col(c).alias(c) for c in window]).dropna().dropDuplicates()
+    windows = windows.join(bounds, F.col(key) == F.col("_rs_l"), "left").join(steps, F.col(key) == F.col("_rs_k"), "left").select(*window, "_rs_low", "_rs_high", "_rs_step")
+
+    def each(g: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(w):
+            return g[[order]].iloc[:0]
         g = g.sort_values([ts, order], kind="stable")
-        bad = judge(g[value].to_numpy(float), float(g["_rs_low"].astype(float).iloc[0]), float(g["_rs_high"].astype(float).iloc[0]))
-        return g.loc[bad, [order]]
+        lo, hi, step = (float(w[c].astype(float).iloc[0]) for c in ("_rs_low", "_rs_high", "_rs_step"))
+        return g.loc[judge(g[value].to_numpy(float), lo, hi, 0.0 if np.isnan(step) else step), [order]]
 
-    return met.groupBy(key, start, end).applyInPandas(each, f"`{order}` {kind}").dropDuplicates()
+    kind = readings.schema[order].dataType.simpleString()
+    return grouped().cogroup(windows.groupBy(*window)).applyInPandas(each, f"`{order}` {kind}").dropDuplicates()
