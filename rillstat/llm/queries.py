@@ -202,7 +202,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     # the texts are read once; medians, deviations, covariance and distances all come from the few numbers of a page
     rows = stuffing.features(table(spark, d, "documents")).checkpoint()
-    return stuffing.distances(rows).where((F.col("density") > stuffing.SHARE) & (F.col("distance") > stuffing.CUTOFF)).select("doc_id")
+    return stuffing.distances(rows).where((F.col("density") > stuffing.SHARE) & (F.col("distance") > stuffing.CUTOFF) & (F.col("direction") > 0)).select("doc_id")
 
 
 QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p2_combined": p2_combined, "p2_errors_hold": p2_errors_hold, "p2_scopes_hold": p2_scopes_hold, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p5_bounds_hold": p5_bounds_hold, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p7_covered": p7_covered, "p8_found": p8_found}

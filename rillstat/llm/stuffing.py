@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 #: More than this share of the characters makes a case, from this distance on (0.975 quantile of chi-square with 4 degrees).
 SHARE, CUTOFF = 0.5, math.sqrt(11.143)
 FEATURES = ("density", "entropy", "repetition", "function_words")
+#: The sign of each feature's deviation towards spam.
+SPAM = {"density": 1, "entropy": -1, "repetition": 1, "function_words": -1}
 #: A shorter run without function words is a part of a sentence, and one shorter than LIST may be a part of an advert; a caption between links is not longer.
 RUN, LIST, CAPTION, STRETCH = 7, 12, 4, 24
+#: A word is near its last occurrence within so many words. A page's near words are keywords if they are so many, the first two below this share of them.
+NEAR, KEYWORDS, FORM_SHARE = 4, 4, 0.8
+#: A scan with a lesser share of words is unreadable.
+READABLE = 0.2
 
 FUNCTION_WORDS = {
     "en": "the of a to in and by for with at on was is has had been not upon an that we his from but while as our are were be which their its this it who after before until owing".split(),
@@ -66,7 +72,8 @@ _ALL = frozenset().union(*_BY_LANGUAGE.values())
 @lru_cache(1 << 16)
 def _word(token: str) -> str:
     """The word of a token, disguises undone; '' without letters, '0' for a number."""
-    if _NUMBER.match(token) or not any(c.isalpha() for c in token):
+    letters = sum(c.isalpha() for c in token)
+    if not letters or (letters < 3 and "@" not in token and "$" not in token and _NUMBER.match(token)):
         return "0" if any(c.isdigit() for c in token) else ""
     if any(c.isdigit() or c in "@$" for c in token):
         token = token.translate(_LEET)
@@ -120,6 +127,7 @@ def measure(text: str | None) -> tuple[str, float, float, float, float]:
     often = 2 if len(tokens) > 80 else 1
     is_function = [w in _ALL for w in words]
     i, n = 0, len(tokens)
+    close_runs, close_words = [], Counter()
     while i < n:
         if link[i] or is_function[i]:
             i += 1
@@ -133,12 +141,23 @@ def measure(text: str | None) -> tuple[str, float, float, float, float]:
             numbers = run.count("0") / len(run)
             letters = [w for w in run if w != "0"]
             again = sum(seen.get(w, 0) > often for w in letters) / max(1, len(letters))
-            near = sum(w in run[max(0, k - 3) : k] for k, w in enumerate(run) if w != "0") / len(run)
-            readable = sum(len(w) > 2 for w in run) / (j - i)
-            if readable > 0.35 and ((numbers < 0.05 and again > 0.6 and (tags or len(run) >= LIST)) or (near > 0.12 and 0.05 <= numbers < 0.25) or (near > 0.22 and numbers < 0.05)):
-                spam[i:j] = True
+            near = [w for k, w in enumerate(run) if w != "0" and w in run[max(0, k - NEAR) : k]]
+            if sum(len(w) > 2 for w in run) / (j - i) > 0.35:
+                if numbers < 0.05 and again > 0.6 and (tags or len(run) >= LIST):
+                    spam[i:j] = True
+                elif numbers < 0.25 and len(near) > 0.12 * len(run):
+                    close_runs.append((i, j, len(near) / len(run), numbers))
+                    close_words.update(near)
         i = j
+    # notices in one form repeat the few words of the form, in short runs or between numbers; keywords are many, or fill long runs
+    many = len(close_words) >= KEYWORDS and sum(c for _, c in close_words.most_common(2)) < FORM_SHARE * sum(close_words.values())
+    for i, j, share, numbers in close_runs:
+        long = j - i >= STRETCH or j - i > 0.8 * n
+        if many and share > 0.15 or long and share > (0.22 if numbers < 0.05 else 0.5):
+            spam[i:j] = True
     _mark_sentences(words, link, spam)
+    if sum(len(w) > 2 for w in words) < READABLE * n:
+        spam[:] = False  # an unreadable scan
     real = [w for w in words if w]
     counts = Counter(real)
     by_language = {k: sum(counts[w] for w in v if w in counts) for k, v in _BY_LANGUAGE.items()}
@@ -150,7 +169,12 @@ def measure(text: str | None) -> tuple[str, float, float, float, float]:
 
 
 def features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its id, ``language`` and the FEATURES."""
+    """One row per document: its id, ``language`` and the FEATURES.
+
+    Texts are read whole. Null, empty and blank ones have language 'none' and
+    features of 0, as have texts without words; null and repeated ids are rows of
+    their own; other columns are ignored.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,9 +187,14 @@ def features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def distances(rows: DataFrame) -> DataFrame:
-    """Adds ``distance``: from the medians of the language, over the covariance of deviations cut at three robust deviations.
-
-    A deviation is never taken as smaller than 0.02, since most pages have no such stretch at all.
+    """Adds ``distance`` and ``direction``: the robust Mahalanobis distance from the middle of the language, and how far it points towards spam.
+
+    The middle is the medians, the scatter the covariance of deviations cut at
+    three robust deviations. A deviation is never taken as smaller than 0.02,
+    since most pages have no such stretch at all. Spam lies towards more density
+    and repetition, less entropy and fewer function words: the direction is the
+    sum of the deviations with these signs. There are five languages at most
+    ('none' among them), so the tables by language are tiny.
     """
     middle = rows.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"m_{f}") for f in FEATURES])
     off = rows.join(F.broadcast(middle), "language")
@@ -185,4 +214,4 @@ def distances(rows: DataFrame) -> DataFrame:
     for language, m in inverse.items():
         total = sum((F.lit(float(m[i, j])) * z[i] * z[j] for i in range(len(z)) for j in range(len(z))), F.lit(0.0))
         square = F.when(F.col("language") == language, total).otherwise(square)
-    return off.withColumn("distance", F.sqrt(F.greatest(square, F.lit(0.0)))).select(*rows.columns, "distance")
+    return off.withColumn("distance", F.sqrt(F.greatest(square, F.lit(0.0)))).withColumn("direction", sum((c * SPAM[f] for c, f in zip(z, FEATURES)), F.lit(0.0))).select(*rows.columns, "distance", "direction")
