@@ -4,7 +4,6 @@ import numpy as np
 
 import __spark_entry__ as driver
 from rillstat.operators.faults import judge
-from rillstat.session import get_spark
 
 
 def noise(n=200, seed=1):
@@ -60,8 +59,7 @@ def test_stuck_runs_of_ten_but_not_in_sources_that_stand_still():
     assert flagged(one) == set()
 
 
-def test_query_takes_repeated_deliveries_once(tmp_path):
-    spark = get_spark("test", 2)
+def test_query_takes_repeated_deliveries_once(spark, tmp_path):
     x = noise()
     x[100] += 5
     rows = [(7, " Gauge", float(v), 1_000_000_000_000 + 1000 * i, i) for i, v in enumerate(x)]
