@@ -62,15 +62,6 @@ def p2_errors_hold(spark: SparkSession, d: str) -> DataFrame:
     return met.select("name_hash", "day", "exact", F.coalesce(off <= F.greatest(5 * ultraloglog.standard_error() * F.col("exact"), F.lit(2.0)), F.lit(False)).alias("holds"))
 
 
-def p2_scopes_hold(spark: SparkSession, d: str) -> DataFrame:
-    """The same per scope and day."""
-    scopes = table(spark, d, "metric_scopes").select("scope_id", "name_hash").dropna().dropDuplicates()
-    exact = _identifiers(spark, d).dropDuplicates().join(scopes, "name_hash").select("scope_id", "day_no", "id").dropDuplicates().groupBy("scope_id", "day_no").agg(F.count(F.lit(1)).alias("exact"))
-    met = p2_scope_day(spark, d).join(exact.select("scope_id", _day(F.col("day_no")).alias("day"), "exact"), ["scope_id", "day"], "full")
-    off = F.abs(F.col("distinct_ids") - F.col("exact"))
-    return met.select("scope_id", "day", "exact", F.coalesce(off <= F.greatest(5 * ultraloglog.standard_error() * F.col("exact"), F.lit(2.0)), F.lit(False)).alias("holds"))
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Reports whose claim is null or off by more than a tenth.
 
@@ -205,7 +196,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.distances(rows).where((F.col("density") > stuffing.SHARE) & (F.col("distance") > stuffing.CUTOFF) & (F.col("direction") > 0)).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p2_combined": p2_combined, "p2_errors_hold": p2_errors_hold, "p2_scopes_hold": p2_scopes_hold, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p5_bounds_hold": p5_bounds_hold, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p7_covered": p7_covered, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_metric_day": p2_metric_day, "p2_scope_day": p2_scope_day, "p2_combined": p2_combined, "p2_errors_hold": p2_errors_hold, "p5_found": p5_found, "p5_metric_day": p5_metric_day, "p5_combined": p5_combined, "p5_bounds_hold": p5_bounds_hold, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p7_covered": p7_covered, "p8_found": p8_found}
 
 _TIMED = "SELECT DISTINCT seq, name_hash, lower(trim(metric_type)) AS type, value, item_hash, ts_ms FROM metric_events WHERE ts_ms >= 946684800000"
 
@@ -231,9 +222,6 @@ SQL = {
     "p2_errors_hold": f"""
         WITH e AS ({_TIMED}), i AS ({_IDENTIFIERS})
         SELECT name_hash, {_DAY} AS day, count(DISTINCT id) AS exact, true AS holds FROM i WHERE name_hash IS NOT NULL AND id IS NOT NULL GROUP BY name_hash, d""",
-    "p2_scopes_hold": f"""
-        WITH e AS ({_TIMED}), i AS ({_IDENTIFIERS}), s AS (SELECT DISTINCT scope_id, name_hash FROM metric_scopes)
-        SELECT scope_id, {_DAY} AS day, count(DISTINCT id) AS exact, true AS holds FROM s JOIN i USING (name_hash) WHERE id IS NOT NULL GROUP BY scope_id, d""",
     "p5_bounds_hold": f"""
         WITH e AS ({_TIMED}), g AS (SELECT name_hash, list_sort(list(value)) AS v FROM e WHERE type = 'histogram' AND isfinite(value) AND name_hash IS NOT NULL GROUP BY ALL)
         SELECT name_hash, CAST(q AS INTEGER) AS q, len(v) AS n, v[(len(v) * q + 9999) // 10000] AS value, true AS holds FROM g, (VALUES (5000), (9900)) t(q)""",
