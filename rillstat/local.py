@@ -18,7 +18,7 @@ from rillstat.functions import hashing
 from rillstat.operators.anomaly import LEAST, MAD_SCALE, TINY, WINDOW
 from rillstat.operators.cardinality import alpha
 from rillstat.operators.frequency import cms_confidence, cms_error_bound, columns_of
-from rillstat.operators.privacy import truth_probability
+from rillstat.operators.privacy import RAPPOR_BITS, RAPPOR_HASHES, truth_probability
 from rillstat.operators.quantile import gamma
 
 _MASK = 2**64 - 1
@@ -496,6 +496,46 @@ class RandomizedResponse:
         return min(1.0, max(0.0, (yes / n - 0.5 + 0.5 * self.p_true) / self.p_true)) if n else 0.0
 
 
+class Rappor:
+    """64-bit reports: lasting answers with probability ``f`` of a fair coin, then 1 told as 1 with ``p`` and 0 as 1 with ``q``."""
+
+    def __init__(self, seed: int, f: float = 0.5, p: float = 0.75, q: float = 0.25):
+        self.f, self.p, self.q = min(0.5, max(0.0, f)), min(1.0, max(0.0, p)), min(1.0, max(0.0, q))
+        self.rng = XorShift64(seed)
+
+    @staticmethod
+    def bits(value: int) -> set[int]:
+        return {hash_u128(value & _MASK | i << 64) % RAPPOR_BITS for i in range(RAPPOR_HASHES)}
+
+    def privatize(self, value: int) -> list[int]:
+        held = self.bits(value)
+        lasting = [self.rng.next_bool(0.5) if self.rng.next_bool(self.f) else i in held for i in range(RAPPOR_BITS)]
+        return [int(self.rng.next_bool(self.p if b else self.q)) for b in lasting]
+
+
+class PrivateAggregator:
+    """Sum and mean of reports with Laplace noise of a given scale."""
+
+    def __init__(self, scale: float):
+        self.scale = scale
+        self.reset()
+
+    def reset(self) -> None:
+        self.sum, self.count = 0.0, 0
+
+    def add(self, noisy: float) -> None:
+        self.sum, self.count = self.sum + noisy, self.count + 1
+
+    def estimate_sum(self) -> float:
+        return self.sum
+
+    def estimate_mean(self) -> float:
+        return self.sum / self.count if self.count else 0.0
+
+    def standard_error(self) -> float:
+        return self.scale * math.sqrt(2 / self.count) if self.count else math.inf
+
+
 class PrivacyBudget:
     """Grants requests while they fit; a refused one costs nothing."""
 

@@ -42,6 +42,21 @@ def metric_state(events: DataFrame, *, key: str = "name_hash", kind: str = "metr
     )
 
 
+def events_from(df: DataFrame, *, key: str | Column, ts: str, order: str, counter: Column | None = None, gauge: Column | None = None, histogram: Column | None = None, unique: Column | None = None) -> DataFrame:
+    """Each row as one event of every given kind: (``name_hash``, ``ts_ms``, ``seq``, ``metric_type``, ``value``, ``item_hash``). ``unique`` is the BIGINT hash of an item."""
+    none, no_item = F.lit(None).cast("double"), F.lit(None).cast("long")
+    given = [("counter", counter, no_item), ("gauge", gauge, no_item), ("histogram", histogram, no_item), ("unique", None if unique is None else none, unique)]
+    kinds = [F.struct(F.lit(k).alias("metric_type"), v.cast("double").alias("value"), i.alias("item_hash")) for k, v, i in given if v is not None]
+    name = F.col(key) if isinstance(key, str) else key
+    return df.select(name.alias("name_hash"), F.col(ts).alias("ts_ms"), F.col(order).alias("seq"), F.explode(F.array(*kinds)).alias("_rs_e")).select("name_hash", "ts_ms", "seq", "_rs_e.*")
+
+
+def pipeline_counts(state: DataFrame, key: str = "name_hash") -> DataFrame:
+    """One row: ``total_events`` and ``metrics`` of a state."""
+    per = state.groupBy(key).agg(F.sum("events").alias("_rs_n"))
+    return per.agg(F.coalesce(F.sum("_rs_n"), F.lit(0)).alias("total_events"), F.count(F.lit(1)).alias("metrics"))
+
+
 def merge_states(states: DataFrame, key: str = "name_hash") -> DataFrame:
     """Union of the states of parts, days or nodes of equal sizes: sums, extremes, greatest ranks and last arrivals."""
     return states.groupBy(key, "kind", "slot").agg(

@@ -269,10 +269,8 @@ def anomaly_events(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_as_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Each event of the stream as a counter, a gauge, a histogram value and a distinct user of the metric of its type."""
-    e = _events(spark, d).withColumn("name_hash", hash_bytes(F.col("event_type"))).withColumn("item_hash", hash_long(F.col("user_id")))
-    kinds = F.array(*[F.struct(F.lit(k).alias("metric_type"), v.alias("value"), i.alias("item_hash")) for k, v, i in (
-        ("counter", F.lit(1.0), F.lit(None).cast("long")), ("gauge", F.col("value"), F.lit(None).cast("long")), ("histogram", F.col("value"), F.lit(None).cast("long")), ("unique", F.lit(None).cast("double"), F.col("item_hash")))])
-    return e.select("name_hash", "ts_ms", F.col("event_id").alias("seq"), F.explode(kinds).alias("m")).select("name_hash", "ts_ms", "seq", "m.*")
+    e, value = _events(spark, d), F.col("value")
+    return metrics.events_from(e, key=hash_bytes(F.col("event_type")), ts="ts_ms", order="event_id", counter=F.lit(1.0), gauge=value, histogram=value, unique=hash_long(F.col("user_id")))
 
 
 def _snapshot_rows(df: DataFrame) -> DataFrame:
@@ -284,6 +282,10 @@ def metric_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _snapshot_rows(metrics.snapshot(metrics.metric_state(_stream_as_metrics(spark, d))))
 
 
+def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.pipeline_counts(metrics.metric_state(_stream_as_metrics(spark, d)))
+
+
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     """The timed events of the deliveries, each once."""
     return timed_events(table(spark, d, "metric_events"), columns=("name_hash", "metric_type", "value", "item_hash", "ts_ms", "seq")).dropDuplicates()
@@ -413,7 +415,7 @@ def privacy_budget(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = """fnv_hash_u64 fnv_hash_bytes fnv_hash_u128 hll_cardinality hll_merge approx_distinct_builtin dd_quantiles dd_signed dd_merge cms_estimate cms_merge cms_total
 heavy_hitters heavy_hitters_estimated percentile_rank iqr quantile_linear covariance_matrix streaming_stats linreg change_rate ema_series ema_final sma tumbling
 tumbling_compat rollup_3level rollup_of_means sliding_stats hopping session_windows streaming_median mad_score ewma_detect zscore composite anomaly_events metric_snapshot
-metric_snapshot_events slot_compat registry_lookup registry_names registry_register payload_roundtrip queue_consume queue_counts json_export prometheus_export laplace_noise private_mean
+metric_snapshot_events pipeline_counts slot_compat registry_lookup registry_names registry_register payload_roundtrip queue_consume queue_counts json_export prometheus_export laplace_noise private_mean
 rr_debias rappor_bits rappor_decode privacy_budget""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

@@ -261,6 +261,7 @@ SQL = {
     "anomaly_events": f"{_ALL} SELECT event_type AS metric_id, ts_ms AS timestamp, value, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, CAST(CAST(mad_median AS FLOAT) AS DOUBLE) AS expected FROM every_one JOIN (SELECT event_type, event_id, ts_ms, value FROM e) USING (event_type, event_id) WHERE mad_anomaly AND ewma_anomaly AND z_anomaly",
     "metric_snapshot": f"WITH {_STREAM} SELECT name_hash, {_SNAP} FROM {_snapshot('m', 'name_hash')}",
     "metric_snapshot_events": f"WITH {_DELIVERIES} SELECT name_hash, {_SNAP} FROM {_snapshot('m', 'name_hash')}",
+    "pipeline_counts": "SELECT 4 * count(*) AS total_events, count(DISTINCT event_type) AS metrics FROM events",
     "slot_compat": f"""WITH {_DELIVERIES}, t AS (SELECT *, CAST(name_hash & 127 AS INTEGER) AS slot_key FROM m WHERE name_hash IS NOT NULL), w AS (SELECT slot_key, arg_min(name_hash, seq) AS name_hash FROM t GROUP BY ALL)
         SELECT slot_key, name_hash, CAST(CAST(counter AS FLOAT) AS DOUBLE) AS counter, gauge, CAST(CAST(cardinality AS FLOAT) AS DOUBLE) AS cardinality, CAST(CAST(p50 AS FLOAT) AS DOUBLE) AS p50, CAST(CAST(p99 AS FLOAT) AS DOUBLE) AS p99, event_count FROM {_snapshot('t', 'slot_key')} JOIN w USING (slot_key)""",
     "registry_lookup": f"""WITH {_DELIVERIES}, c AS (SELECT name_hash, count(*) AS n_events FROM m GROUP BY ALL), r AS (SELECT name_hash, min(name) AS registered_name, min(lower(trim(metric_type))) AS registered_type FROM metric_registry WHERE name_hash IS NOT NULL GROUP BY ALL)

@@ -56,3 +56,12 @@ def change_rate(df: DataFrame, *, key: str, ts: str, value: str, order: str) ->
     """(key, ts, order, value, ``rate``) of every row; null in a key's first one."""
     out = _fold(df, key, ts, value, order, [("rate", T.DoubleType())], local.ChangeRate, lambda held, v, t: (math.nan if (r := held.observe(v, t)) is None else r,))
     return out.withColumn("rate", F.nanvl("rate", F.lit(None).cast("double")))
+
+
+def on_anomaly(callback: Callable):
+    """Function for ``writeStream.foreachBatch`` over rows of ``detect``: calls ``callback(row)`` for every anomaly, on the executors."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.where(F.col("anomaly")).foreach(callback)
+
+    return write

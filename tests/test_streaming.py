@@ -46,6 +46,13 @@ def test_detectors(spark, folder, tmp_path):
     assert all(got[o][1] == want[o][1] and got[o][0] == pytest.approx(want[o][0], rel=1e-6) for o in want)
 
 
+def test_callback(spark, folder, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    q = folds.detect(source(spark, folder), **ON, detector="mad").writeStream.foreachBatch(folds.on_anomaly(lambda row: seen.add(1))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert seen.value == anomaly.mad(spark.read.parquet(folder), **ON).where("mad_anomaly").count() > 0
+
+
 def test_averages_and_rates(spark, folder, tmp_path):
     got = {r.o: r.ema for r in run(folds.ema(source(spark, folder), **ON, weight=0.2), tmp_path / "a").collect()}
     assert got == pytest.approx({r.o: r.ema for r in series.ema(spark.read.parquet(folder), **ON, weight=0.2).collect()})

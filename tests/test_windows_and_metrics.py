@@ -178,6 +178,28 @@ def test_generator_and_laplace():
     assert local.XorShift64(0).state == local.XorShift64.ZERO
 
 
+def test_private_aggregator_and_reports_in_memory():
+    a = local.PrivateAggregator(2.0)
+    assert (a.estimate_mean(), a.standard_error()) == (0.0, math.inf)
+    a.add(10)
+    a.add(20)
+    assert (a.estimate_sum(), a.estimate_mean(), a.standard_error()) == (30, 15, 2.0)
+    assert local.Rappor.bits(12345) == {4, 34, 49}
+    r = local.Rappor(42)
+    reports = [r.privatize(12345) for _ in range(3000)]
+    assert len(reports[0]) == 64
+    low, high = 0.375, 0.625
+    assert all(abs((sum(x[i] for x in reports) / 3000 - low) / (high - low) - (i in (4, 34, 49))) < 0.15 for i in range(64))
+
+
+def test_events_of_all_kinds(spark):
+    df = spark.createDataFrame([(5, 1, 1, 2.5)], "k long, t long, o long, v double")
+    e = metrics.events_from(df, key="k", ts="t", order="o", counter=F.lit(1), gauge=F.col("v"), histogram=F.col("v"), unique=F.lit(77).cast("long"))
+    assert sorted(r.metric_type for r in e.collect()) == ["counter", "gauge", "histogram", "unique"]
+    assert tuple(metrics.pipeline_counts(metrics.metric_state(e)).first()) == (4, 1)
+    assert tuple(metrics.pipeline_counts(metrics.metric_state(e.limit(0))).first()) == (0, 0)
+
+
 def test_budget(spark):
     b = local.PrivacyBudget(1.0)
     assert [b.try_spend(0.3) for _ in range(4)] == [True, True, True, False] and b.spent == pytest.approx(0.9) and b.query_count == 3
