@@ -18,7 +18,6 @@ part-filled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
