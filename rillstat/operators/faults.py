@@ -100,11 +100,16 @@ def _long_runs(x: np.ndarray, tol: float) -> np.ndarray:
     return out
 
 
-def _excess(x: np.ndarray, n: int) -> np.ndarray:
+def _levels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per position the level of the SIDE readings before it and of those from it on; one position more than readings."""
+    nan = [np.nan]
+    return np.concatenate((_medians(x, list(range(-SIDE, 0))), nan)), np.concatenate((_medians(x, list(range(SIDE))), nan))
+
+
+def _excess(x: np.ndarray, n: int, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """By how much each run of ``n`` readings leaves both the level before and the level after it, to one side."""
     runs = np.lib.stride_tricks.sliding_window_view(x, n)
-    before = _medians(x, list(range(-SIDE, 0)))[: len(runs)]
-    after = _medians(x, list(range(n, n + SIDE)))[: len(runs)]
+    before, after = levels[0][: len(runs)], levels[1][n : n + len(runs)]
     gap = np.maximum(runs.min(axis=1) - np.maximum(before, after), np.minimum(before, after) - runs.max(axis=1))
     return np.nan_to_num(gap, nan=-np.inf)
 
@@ -154,11 +159,12 @@ def _spikes(x: np.ndarray, limit: float) -> np.ndarray:
     while len(rest) > SPIKE_READINGS + 1:
         y = x[rest]
         longer = np.zeros(len(y), dtype=bool)
-        for i in np.flatnonzero(_excess(y, SPIKE_READINGS + 1) > limit):
+        levels = _levels(y)
+        for i in np.flatnonzero(_excess(y, SPIKE_READINGS + 1, levels) > limit):
             longer[i : i + SPIKE_READINGS + 1] = True
         phi, new = None, np.zeros(len(y), dtype=bool)
         for n in range(1, SPIKE_READINGS + 1):
-            for i in np.flatnonzero(_excess(y, n) > limit):
+            for i in np.flatnonzero(_excess(y, n, levels) > limit):
                 if longer[i : i + n].any() or new[i : i + n].all():
                     continue
                 phi = _autoregression(y) if phi is None else phi
